@@ -1,10 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run is a table sorted by line hash that holds, for each line key, in how many documents it stands and
-the largest doc_id among them. Documents come in batches. A batch makes its own run; the store merges
-it against the runs it has: keys they lack (merge-anti-join) are new, the others add to a known key.
-When a level has `fan_in` runs they are merged into one run of the next level. At the end the runs name
-the keys to drop, and each document loses them.
+the largest doc_id among them. Documents come in batches of falling doc_id, so that the largest holder
+of a key comes first and a key is settled once enough documents hold it. A batch is merge-anti-joined
+with the runs, which takes out settled keys, and what is left becomes a run of its own. When a level has
+`fan_in` runs they are merged into one run of the next level. At the end the runs name the keys to
+drop, and each document loses them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import remove, save
@@ -54,10 +55,13 @@ def _occurrences(least: int):
 
 
 class RunStore:
-    """Levelled sorted runs of (key, n_docs, last_doc) in the shared folder."""
+    """Levelled sorted runs of (key, n_docs, last_doc) in the shared folder.
 
-    def __init__(self, spark: SparkSession, fan_in: int = 4):
-        self.spark, self.fan_in = spark, fan_in
+    n_docs of a settled key is a lower bound; last_doc is exact once the key is settled.
+    """
+
+    def __init__(self, least_docs: int = 3, fan_in: int = 4):
+        self.least_docs, self.fan_in = least_docs, fan_in
         self.levels: list[list[DataFrame]] = [[]]
 
     def runs(self) -> list[DataFrame]:
@@ -71,8 +75,8 @@ class RunStore:
         return every.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def add(self, occurrences: DataFrame) -> None:
-        """Take a batch of (key, doc_id), of documents not seen before, as a sorted run; compact full levels."""
-        run = occurrences.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        """Take a batch of (key, doc_id), whose ids are below those of earlier batches, as a sorted run; compact full levels."""
+        run = self.unsettled(occurrences.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
         self.levels[0].append(save(run.sortWithinPartitions("key"), "line-run-0"))
         for k in range(len(self.levels)):
             if len(level := self.levels[k]) >= self.fan_in:
@@ -83,16 +87,14 @@ class RunStore:
                 for r in level:
                     remove(r)
 
-    def unseen(self, occurrences: DataFrame) -> DataFrame:
-        """The rows of a batch whose keys no run holds: a merge-anti-join with each run."""
-        for r in self.runs():
-            occurrences = occurrences.join(r.select("key").hint("merge"), "key", "left_anti")
-        return occurrences
+    def unsettled(self, rows: DataFrame) -> DataFrame:
+        """The rows whose keys the runs don't hold often enough yet: a merge-anti-join with the runs."""
+        return rows.join(self.frequent().select("key").hint("merge"), "key", "left_anti") if self.runs() else rows
 
-    def frequent(self, least_docs: int) -> DataFrame:
-        """Keys that stand in at least `least_docs` documents over all runs, with the largest doc_id of each."""
+    def frequent(self) -> DataFrame:
+        """Keys that stand in enough documents over all runs, with the largest doc_id of each."""
         runs = self.runs()
-        return (runs[0] if len(runs) == 1 else self._merged(runs)).where(F.col("n_docs") >= least_docs)
+        return (runs[0] if len(runs) == 1 else self._merged(runs)).where(F.col("n_docs") >= self.least_docs)
 
 
 def _rewrite(least: int, columns: list[str]):
@@ -132,14 +134,17 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     and is kept as it is; rows that repeat a doc_id count as one document each. Input columns named
     n_lines, n_dropped or drop_keys are replaced. Keys are compared by 128-bit hashes.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", "drop_keys")
     found = docs.select("doc_id", "text").mapInArrow(_occurrences(least_chars), "key binary, doc_id long")
-    found = save(found.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "line-keys", ["batch"])
-    store = RunStore(spark, fan_in)
+    cuts = docs.select(F.percentile_approx("doc_id", [(batches - k) / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    batch = F.lit(0)
+    for cut in cuts or []:
+        batch = batch + (F.col("doc_id") < F.lit(cut)).cast("int")
+    found = save(found.withColumn("batch", batch), "line-keys", ["batch"])
+    store = RunStore(least_docs, fan_in)
     for b in range(batches):
         store.add(found.where(F.col("batch") == b).select("key", "doc_id"))
-    frequent = store.frequent(least_docs).select("key", "last_doc")
+    frequent = store.frequent().select("key", "last_doc")
     gone = found.select("key", "doc_id").join(frequent, "key").where("doc_id <> last_doc")
     gone = save(gone.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("drop_keys"), F.count("*").alias("n")), "line-drops")
     if (gone.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn_quality, line_dedup, ngram_jaccard_join, pii, pitman_yor, warc
+from . import chat_repair, decontaminate, knn_quality, line_dedup, mixing, ngram_jaccard_join, pii, pitman_yor, quality_cascade, warc
 from .store import new_folder
 
 
@@ -20,10 +20,23 @@ def _remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), size=3, similarity="0.9")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("item_list").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +47,10 @@ def op6_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_archives(spark, folder))
 
 
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op8_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False))
@@ -54,9 +71,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_repair": op1_chat_repair,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_decontamination": op3_decontamination,
+        "op4_pfair_mixing": op4_pfair_mixing,
         "op5_pii_deobfuscation": op5_pii_deobfuscation,
         "op6_warc_reassembly": op6_warc_reassembly,
+        "op7_quality_cascade": op7_quality_cascade,
         "op8_knn_quality": op8_knn_quality,
         "op9_pitman_yor_lm": op9_pitman_yor_lm,
         "op10_line_dedup": op10_line_dedup,
