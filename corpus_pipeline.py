@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (three words, 0.9, as the join's own query) the document with the smallest id."""
-    gone = ngram_jaccard_join.near_duplicates(docs, size=3, similarity="0.9").where("doc_id <> component_id").select("doc_id")
+    """Of each group of near copies (five words, 0.8) the document with the smallest id."""
+    gone = ngram_jaccard_join.near_duplicates(docs, size=5, similarity="0.8").where("doc_id <> component_id").select("doc_id")
     gone = save(gone, "pipeline-copies")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 

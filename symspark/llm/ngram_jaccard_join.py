@@ -3,10 +3,13 @@
 Two texts link when the Jaccard similarity of their sets of word shingles reaches a threshold. Set sizes
 are cut into bands [l, l/similarity]; a set takes part in the instance of its own band and in the next
 one, so that any pair similar enough meets in an instance whose Hamming distance is at most k. An
-instance deals the shingle domain into k + 1 partitions: of two sets at distance k at least one
-partition holds the same elements, and the hash of a partition's content is a signature (the second
-level of the scheme with threshold 0: subsets of one partition). Signatures of an empty partition say
-nothing, so the set's partitions under a second, independent dealing are enumerated in their place.
+instance deals the shingle domain into n1 partitions and each of them into n2 cells. Of two sets at
+distance k at most k / (k2 + 1) partitions differ in more than k2 cells; in every other one some
+n2 - k2 cells hold the same elements, and the hash of such a subset's content is a signature. A subset
+without elements says nothing and has none. That loses no pair if a set has more partitions with over
+k2 filled cells than may differ, for one of these then agrees and no subset of it is empty; n1 is chosen
+so that few sets have not. Those few also have their first elements in hash order as signatures, so many
+that two of them that link share one (prefix filter).
 
 Exact copies are folded into classes first. Signatures only name candidates: the candidates of a
 connected group meet once more with their full sets, are compared exactly (all links, block by block,
@@ -15,8 +18,11 @@ nothing emitted but a spanning label and link counts), and the links' components
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +39,50 @@ BROADCAST_IDS = 2_000_000
 BLOCK = 2048
 
 
-def size_bands(similarity: Fraction, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest size of each band, and k + 1 of the instance that ends with it."""
-    low, parts, at = [], [], 1
-    gap = 2 * (1 - similarity) / (1 + similarity)
-    while at <= top:
+#: Elements that a signature should stand for on average, in the smallest sets of an instance.
+HELD = 3.5
+
+
+class Bands(NamedTuple):
+    """Per instance: smallest size of the band that begins in it, Hamming distance k, partitions n1, cells n2 of each, and k2."""
+
+    similarity: Fraction
+    low: np.ndarray
+    distance: np.ndarray
+    outer: np.ndarray
+    inner: np.ndarray
+    slack: np.ndarray
+
+
+def layout(distance: int, least: int) -> tuple[int, int, int]:
+    """n1, n2 and k2 with the fewest signatures among those that hold enough elements; for sets of at least `least` elements."""
+    best = (True, 0.0, distance + 1, 1, 0)
+    for k2 in range(4):
+        for n2 in (1,) if k2 == 0 else range(k2 + 1, k2 + 4):
+            bad = distance // (k2 + 1)
+            n1 = bad + 1
+            while n1 * n2 <= 2 * least:
+                cell = 1 - math.exp(-least / (n1 * n2))
+                rich = sum(math.comb(n2, j) * cell**j * (1 - cell) ** (n2 - j) for j in range(k2 + 1, n2 + 1))
+                if n1 * rich - 3 * math.sqrt(n1 * rich * (1 - rich)) > bad:
+                    held = least * (n2 - k2) / (n1 * n2)
+                    best = min(best, (held < HELD, -held if held < HELD else n1 * math.comb(n2, k2), n1, n2, k2))
+                    break
+                n1 += max(1, n1 // 32)
+    return best[2:]
+
+
+def size_bands(similarity: Fraction, top: int) -> Bands:
+    low, rows, at, before, least = [], [], 1, 0, 1
+    gap = (1 - similarity) / (1 + similarity)
+    while True:  # the last instance is the one above the band of `top`
         end = max(at, int(Fraction(at) / similarity))
+        k = int(gap * (max(before, 1) + end))  # of one set in the band below and one in this; covers two in the band below
         low.append(at)
-        parts.append(int(gap * end) + 1)
-        at = end + 1
-    end = max(at, int(Fraction(at) / similarity))  # the instance above the last
-    return np.array([*low, at]), np.array([*parts, int(gap * end) + 1])
+        rows.append((k, *layout(k, least)))
+        if at > top:
+            return Bands(similarity, np.array(low), *np.array(rows, dtype=np.int64).T)
+        before, least, at = end, at, end + 1
 
 
 def _sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,53 +97,46 @@ def _sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray,
     return value, np.bincount(doc, minlength=len(counts))
 
 
-def _content(value: np.ndarray, part: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per partition of one set: an order-free hash of its elements, and whether it has any."""
-    out = np.zeros(parts, dtype=U64)
-    np.add.at(out, part, mix(value ^ U64(salt)))
-    full = np.zeros(parts, dtype=bool)
-    full[part] = True
-    return out, full
-
-
-def signatures(value: np.ndarray, sizes: np.ndarray, low: np.ndarray, parts_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(value: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures of sets laid end to end (sorted within each): the signatures, and how many each set has."""
     docs = len(sizes)
     starts = np.cumsum(sizes) - sizes
-    band = np.searchsorted(low, sizes, side="right") - 1
+    band = np.searchsorted(bands.low, sizes, side="right") - 1
     mixed = mix(value ^ U64(0x5851F42D4C957F2D))
     found, owner = [], []
     for step in (0, 1):
         inst = np.where(sizes > 0, band + step, 0)
-        parts = np.where(sizes > 0, parts_of[inst], 0)
-        live = parts > 1  # with k = 0 only equal sets are linked, and those are one class already
+        live = (sizes > 0) & (bands.distance[inst] > 0)  # with k = 0 only equal sets are linked, and those are one class already
         if not live.any():
             continue
-        parts = np.where(live, parts, 0)
-        base = np.cumsum(parts) - parts
+        inner, slack, label = bands.inner[inst], bands.slack[inst], inst.astype(U64) << U64(48)
+        cells = np.where(live, bands.outer[inst] * inner, 0)
+        base = np.cumsum(cells) - cells
         doc = np.repeat(np.arange(docs), np.where(live, sizes, 0))
         use = np.repeat(live, sizes)
-        v, m = value[use], mixed[use]
-        cell = base[doc] + (((v >> U64(32)) * parts[doc].astype(U64)) >> U64(32)).astype(np.int64)
+        cell = base[doc] + (((value[use] >> U64(32)) * cells[doc].astype(U64)) >> U64(32)).astype(np.int64)
         edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        content = np.add.reduceat(m, edge)
-        at = cell[edge]
-        who = doc[edge]
-        tag = mix((inst[who].astype(U64) << U64(40)) + (at - base[who]).astype(U64))
-        found.append(mix(content ^ tag))
-        owner.append(who)
-        filled = np.bincount(who, minlength=docs)
-        for d in np.flatnonzero(filled < parts):
-            k, i = int(parts[d]), int(inst[d])
-            own = value[starts[d] : starts[d] + sizes[d]]
-            have = np.zeros(k, dtype=bool)
-            have[at[who == d] - base[d] if docs < 64 else (cell[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")] - base[d])] = True
-            again = mix(own + U64(0xA0761D6478BD642F))
-            second, _ = _content(own, (((again >> U64(32)) * U64(k)) >> U64(32)).astype(np.int64), k, 0x2D358DCCAA6C78A5)
-            for p in np.flatnonzero(~have):
-                tags = mix(np.array([(i << 40) + int(p)], dtype=U64)) ^ mix(np.arange(k, dtype=U64) + U64(0x8BB84B93962EACC9))
-                found.append(mix(second ^ tags))
-                owner.append(np.full(k, d))
+        content, full = np.zeros(int(cells.sum()), dtype=U64), np.zeros(int(cells.sum()), dtype=bool)
+        content[cell[edge]], full[cell[edge]] = np.add.reduceat(mixed[use], edge), True
+        rich = np.zeros(docs, dtype=np.int64)
+        for n2, k2 in {(int(a), int(b)) for a, b in zip(inner[live], slack[live], strict=True)}:
+            mine = live & (inner == n2) & (slack == k2)
+            of = np.repeat(mine, cells)
+            inside, some = content[of].reshape(-1, n2), full[of].reshape(-1, n2)
+            outer = np.where(mine, cells // n2, 0)
+            who = np.repeat(np.arange(docs), outer)
+            part = np.arange(len(who)) - np.repeat(np.cumsum(outer) - outer, outer)
+            rich += np.bincount(who[some.sum(axis=1) > k2], minlength=docs)
+            tag = label[who] + (part.astype(U64) << U64(6))
+            for s, columns in enumerate(combinations(range(n2), n2 - k2)):
+                keep = some[:, columns].any(axis=1)
+                found.append(mix(inside[keep][:, columns].sum(axis=1, dtype=U64) ^ mix(tag[keep] + U64(s))))
+                owner.append(who[keep])
+        for d in np.flatnonzero(live & (rich <= bands.distance[inst] // (slack + 1))):
+            n = int(sizes[d])
+            first = value[starts[d] : starts[d] + n - math.ceil(bands.similarity * n) + 1]
+            found.append(mix(mix(first) ^ mix(label[d : d + 1] + U64((1 << 48) - 1))))
+            owner.append(np.full(len(first), d))
     if not found:
         return np.zeros(0, dtype=U64), np.zeros(docs, dtype=np.int64)
     found, owner = np.concatenate(found), np.concatenate(owner)
@@ -112,9 +144,7 @@ def signatures(value: np.ndarray, sizes: np.ndarray, low: np.ndarray, parts_of:
     return found[order], np.bincount(owner, minlength=docs)
 
 
-def _describe(size: int, similarity: Fraction, top: int = 1 << 40):
-    low, parts = size_bands(similarity, top)
-
+def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
@@ -126,11 +156,20 @@ def _describe(size: int, similarity: Fraction, top: int = 1 << 40):
                     edge = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
                     one[who[edge]] = np.add.reduceat(mix(value), edge)
                     two[who[edge]] = np.add.reduceat(mix(value * U64(0x9FB21C651E98DF25) + U64(1)), edge)
-                sig, each = signatures(value, sizes, low, parts)
-                yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], pa.array(sizes, type=pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), list_array(sig.view(np.int64), each, pa.int64())],
-                    names=["doc_id", "n", "f1", "f2", "sigs"],
-                )
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(sizes, type=pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n", "f1", "f2"])
+
+    return run
+
+
+def _signature_rows(size: int, similarity: Fraction, top: int = 1 << 40):
+    bands = size_bands(similarity, top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, data, bounds in pieces(batch.column(1)):
+                sig, each = signatures(*_sets(data, bounds, size), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(ids[i:j], each))], names=["sig", "rep"])
 
     return run
 
@@ -235,11 +274,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float | str | Fr
     directly, copies included. Shingles are compared by 64-bit hashes.
     """
     similarity = Fraction(str(similarity)) if not isinstance(similarity, Fraction) else similarity
-    rows = save(docs.select("doc_id", "text").mapInArrow(_describe(size, similarity), "doc_id long, n long, f1 long, f2 long, sigs array<long>"), "jaccard-sets")
+    rows = save(docs.select("doc_id", "text").mapInArrow(_describe(size), "doc_id long, n long, f1 long, f2 long"), "jaccard-sets")
     some = rows.where("n > 0")
     classes = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    signed = some.where(F.size("sigs") > 0).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs")).where("rep is not null")
-    spread = signed.select(F.explode("sigs").alias("sig"), "rep")
+    # signatures are many times the size of the ids, so they are made from the texts anew rather than kept
+    others = save(some.select("doc_id").distinct().join(classes, F.col("doc_id") == F.col("rep"), "left_anti"), "jaccard-copies")
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    texts = texts.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc_id", "left_anti")
+    spread = texts.mapInArrow(_signature_rows(size, similarity), "sig long, rep long")
     pairs = save(spread.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_pairs_to_first, "a long, b long").distinct(), "jaccard-pairs")
     groups = save(components(pairs), "jaccard-groups")
     counted = groups.groupBy("component").agg(F.count("*").alias("m"))

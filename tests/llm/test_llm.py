@@ -6,10 +6,13 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from symspark.llm import chat_repair, components, decontaminate, knn_quality, line_dedup, mixing, ngram_jaccard_join, pii, pitman_yor, quality_cascade, warc
 from symspark.llm.store import new_folder
 
@@ -61,6 +64,45 @@ def test_jaccard_against_brute_force(spark):
     assert got == {i: (len(s), find(i), links[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("similarity", ["0.8", "0.9"])
+def test_jaccard_links_share_a_signature(similarity):
+    bands, r, total, elements = ngram_jaccard_join.size_bands(Fraction(similarity), 1 << 20), np.random.default_rng(5), 0, 0
+    for n in [*range(5, 60), 100, 300, 1000, 6000, 20000]:
+        for extra in (0, n // 20, n // 8):
+            most = int((Fraction(1) - Fraction(similarity)) * (n + extra))  # with so many of the union not shared they still link
+            whole = r.integers(0, 1 << 64, size=n + extra, dtype=np.uint64)
+            alone = r.permutation(n + extra)[:most]
+            left = int(r.integers(0, most + 1))
+            pair = [np.sort(np.delete(whole, alone[:left])), np.sort(np.delete(whole, alone[left:]))]
+            if len(np.union1d(*pair)) == 0 or np.array_equal(*pair):
+                continue
+            sigs, each = ngram_jaccard_join.signatures(np.concatenate(pair), np.array([len(x) for x in pair]), bands)
+            assert len(np.intersect1d(sigs[: each[0]], sigs[each[0] :])), (n, extra)
+            total, elements = total + len(sigs), elements + len(pair[0]) + len(pair[1])
+    assert total < 2 * elements
+
+
+def test_pipeline_near_copies_are_those_of_five_words_and_eight_tenths(spark):
+    base = texts(31, 3, 200, 3000)
+    w = texts(32, 3, 60, 3000)
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows.append((10, base[0] + " " + " ".join(w[0].split(" ")[:40])))  # an appended fifth: near at 0.8, not at 0.9
+    edited = base[1].split(" ")
+    for at in range(10, 200, 50):
+        edited[at] = "changed"  # four scattered edits: 20 of 196 shingles
+    rows.append((11, " ".join(edited)))
+    rows.append((12, base[2] + " " + w[2]))  # too long to be a copy
+
+    def shingles(t):
+        x = t.lower().split()
+        return {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+
+    copies = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if 10 * len(shingles(x) & shingles(y)) >= 8 * len(shingles(x) | shingles(y))}
+    assert copies == {(0, 10), (1, 11)}
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame([(i, t) for i, t in rows], DOCS), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 12]
+
+
 def test_jaccard_empty(spark):
     assert ngram_jaccard_join.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
