@@ -3,7 +3,7 @@
 Two passes over each text. The base pass finds plain identifiers. The second passes the text through a
 transducer that rewrites homoglyphs, spelled digits and at/dot disguises and keeps an alignment of
 output to source pieces, detects identifiers in the rewritten text and maps each span back to source
-characters. Base spans stay; a mapped span is added where it meets none of them.
+characters. Base spans stay; a mapped span is added unless it is a base span of the same kind.
 """
 
 from __future__ import annotations
@@ -204,19 +204,13 @@ def normalise(text: str) -> Tape | None:
 
 
 def find_disguised(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans in source characters of identifiers that only the rewritten text shows, none meeting a base span."""
+    """Spans in source characters of identifiers that only the rewritten text shows whole; they may overlap base spans."""
     tape = normalise(text)
     if tape is None or tape.text == text:
         return []
-    taken = sorted((a, b) for a, b, _ in base)
-    added: list[tuple[int, int, str]] = []
-    for a, b, kind in find_base(tape.text):
-        start, end = tape.source(a, False), tape.source(b - 1, True)
-        k = bisect_right(taken, (end, -1))
-        if any(x < end and y > start for x, y in taken[max(0, k - 8) : k + 1]) or any(x < end and y > start for x, y, _ in added[-4:]):
-            continue
-        added.append((start, end, kind))
-    return added
+    taken = set(base)
+    mapped = [(tape.source(a, False), tape.source(b - 1, True), kind) for a, b, kind in find_base(tape.text)]
+    return [span for span in mapped if span not in taken]
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

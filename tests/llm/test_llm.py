@@ -180,6 +180,22 @@ def test_pii_disguises(text, kind, shown):
     assert [(k, text[a:b]) for a, b, k in pii.find_disguised(text, pii.find_base(text))] == [(kind, shown)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "whole"),
+    [
+        ("jоhn@example.com", "email", "hn@example.com", "jоhn@example.com"),
+        ("to jane@example.cоm now", "email", "jane@example.c", "jane@example.cоm"),
+        ("mary dot jo@example.com", "email", "jo@example.com", "mary dot jo@example.com"),
+        ("+44 20 7946 095 eight three one", "phone", "+44 20 7946 095", "+44 20 7946 095 eight three one"),
+    ],
+)
+def test_pii_disguises_beyond_a_base_span(text, kind, base, whole):
+    plain = pii.find_base(text)
+    assert [(k, text[a:b]) for a, b, k in plain] == [(kind, base)]
+    assert [(k, text[a:b]) for a, b, k in pii.find_disguised(text, plain)] == [(kind, whole)]
+    assert pii.redact(text) == text.replace(whole, f"[{kind}]")
+
+
 def test_pii_rows(spark):
     got = pii.personal_data(spark.createDataFrame([(1, "a@b.co"), (2, None), (None, "look at home.Then"), (3, "")], DOCS)).collect()
     assert [(r.doc_id, r.n_email, r.spans) for r in got] == [(1, 1, "email:0:6"), (2, 0, ""), (None, 0, ""), (3, 0, "")]
