@@ -89,7 +89,7 @@ _TELL_AT = re.compile(r" at +[a-z0-9-]+(?: +dot +[a-z0-9]|(?:\.[a-z0-9-]+)*\.(?:
 _TELL_SPACE = re.compile(r"[A-Za-z0-9] @|@ [A-Za-z0-9]")
 _LONGER = tuple(w for w in DIGIT_WORDS if w != "one")
 _TELL_WORD = re.compile(r"(?:" + "|".join(_LONGER) + r")[ .,-]{1,3}(?:" + _SPELLED + r"|[0-9])|(?:" + _SPELLED + r"|[0-9])[ .,-]{1,3}(?:" + "|".join(_LONGER) + r")")
-_TELL_ONES = re.compile(r"one[ .,-]{1,3}(?:one|[0-9])")
+_TELL_ONES = re.compile(r"one[ .,-]{1,3}(?:one|[0-9])|[0-9][ .,-]{1,3}one")
 _MARK = re.compile(r"(?i) *[\[({<] *(?P<in>at|dot|@|\.) *[\])}>] *")
 _BARE_AT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-]) +(?:at +(?=[A-Za-z0-9-]+(?: +dot +[A-Za-z0-9]|(?:\.[A-Za-z0-9-]+)*\.(?:" + _TLD + r")\b))|@ *(?=[A-Za-z0-9-]+(?: +dot +|\.)[A-Za-z0-9]))|(?<=[A-Za-z0-9_%+-])@ +(?=[A-Za-z0-9-]+(?: +dot +|\.)[A-Za-z])")
 _BARE_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9])")
@@ -154,12 +154,12 @@ class Tape:
 
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
-    """Edits that write runs with spelled digits in figures: separators between two digit words go, those beside figures stay."""
+    """Edits that write spelled digits beside others or figures in figures: separators without a dot beside a spelled one go."""
     edits = []
     for m in _RUN.finditer(text):
         tokens = [(t.start(), t.end(), t[0]) for t in _WORD.finditer(text, m.start(), m.end())]
         spelled = [t[2].lower() in DIGIT_WORDS for t in tokens]
-        if sum(spelled) < 3:
+        if not any(spelled) or sum(spelled) + sum(t[2][0].isdigit() for t in tokens) < 2:
             continue
         for k, (a, b, word) in enumerate(tokens):
             low = word.lower()
@@ -177,7 +177,7 @@ def _disguised(text: str) -> bool:
     low = text.lower()
     if _TELL_MARK.search(text) or " dot " in low or (" at " in low and _TELL_AT.search(low)) or ("@" in text and _TELL_SPACE.search(text)):
         return True
-    return any(w in low for w in _LONGER) and _TELL_WORD.search(low) is not None or _TELL_ONES.search(low) is not None
+    return any(w in low for w in _LONGER) and _TELL_WORD.search(low) is not None or "one" in low and _TELL_ONES.search(low) is not None
 
 
 def _may_have_glyphs(text: str) -> bool:

@@ -196,6 +196,25 @@ def test_pii_disguises_beyond_a_base_span(text, kind, base, whole):
     assert pii.redact(text) == text.replace(whole, f"[{kind}]")
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("+1 415 555 26 seven one", "phone"),
+        ("+1 415 555 26 one", "phone"),
+        ("+1 415 555 26 seven", "phone"),
+        ("10.0.0.two", "ip"),
+        ("4111 1111 1111 111 one", "card"),
+    ],
+)
+def test_pii_few_spelled_digits(text, kind):
+    assert (0, len(text), kind) in pii.find_disguised(text, pii.find_base(text))
+
+
+def test_pii_spelled_digits_alone():
+    for text in ("one of 12 files, two at most", "version 2, one fix", "10.0.0.two hundred and 300.1.1.one", "no one 4"):
+        assert [s for s in pii.find_disguised(text, pii.find_base(text)) if s[2] != "ip"] == []
+
+
 def test_pii_rows(spark):
     got = pii.personal_data(spark.createDataFrame([(1, "a@b.co"), (2, None), (None, "look at home.Then"), (3, "")], DOCS)).collect()
     assert [(r.doc_id, r.n_email, r.spans) for r in got] == [(1, 1, "email:0:6"), (2, 0, ""), (None, 0, ""), (3, 0, "")]
