@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import PIECE, cuts, pieces, words_of_bytes
+from .textops import PIECE, U64, cuts, pieces, words_of_bytes
 
 #: Labelled rows used at most for each class; those with the smallest hash of their doc_id.
 SAMPLE = 1024
@@ -43,8 +43,8 @@ def _share(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _counts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Raw trigram counts of rows laid end to end, and per row: words, symbols, capitals, letters, repeated words, new words, bytes."""
+def _counts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Raw trigram counts of rows laid end to end; per row: words, symbols, capitals, letters, repeated words, distinct words, bytes; word hashes."""
     n = len(bounds) - 1
     out = np.zeros((n, TERMS), dtype=np.float32)
     code = _trigrams(data)
@@ -65,9 +65,21 @@ def _counts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         same[at[:-1][words > 0]] = False
         facts[:, 4] = _share(same, at)
         for i in np.flatnonzero(words):
-            facts[i, 5] = len(np.unique(h[at[i] : at[i + 1]])) if words[i] < 2000 else words[i]
+            facts[i, 5] = len(np.unique(h[at[i] : at[i + 1]]))
     facts[:, 6] = np.diff(bounds)
-    return out, facts
+    return out, facts, h
+
+
+def _long_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and facts of one text, piece by piece; only its distinct words are held throughout."""
+    counts, facts, seen = np.zeros((1, TERMS), dtype=np.float32), np.zeros((1, 7)), np.zeros(0, dtype=U64)
+    for a, b in cuts(data):
+        c, f, h = _counts(data[a:b], np.array([0, b - a]))
+        counts += c
+        facts += f
+        seen = np.union1d(seen, h)
+    facts[0, 5] = len(seen)
+    return counts, facts
 
 
 def _finish(counts: np.ndarray, facts: np.ndarray) -> np.ndarray:
@@ -88,10 +100,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     found = []
     for _, _, data, bounds in pieces(column, PIECE // 4):
         if len(data) > 2 * PIECE:
-            parts = [_counts(data[a:b], np.array([0, b - a])) for a, b in cuts(data)]
-            counts, facts = sum(c for c, _ in parts), sum(f for _, f in parts)
+            counts, facts = _long_counts(data)
         else:
-            counts, facts = _counts(data, bounds)
+            counts, facts, _ = _counts(data, bounds)
         found.append(_finish(counts, facts))
     return np.concatenate(found) if found else np.zeros((0, TERMS + STYLE), dtype=np.float32)
 

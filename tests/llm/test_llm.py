@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,15 @@ def test_classifier_separates(spark):
     assert got[900].score == got[901].score == 0.5
 
 
+def test_classifier_counts_distinct_words_at_every_length():
+    loop = [f"word{i}" for i in range(10)]
+    for n in (1999, 2000, 2001, 20_000, 400_000):  # the last is over two pieces long
+        row = knn_quality._matrix(pa.array([" ".join(loop[i % 10] for i in range(n))]))[0]
+        assert row[knn_quality.TERMS + 3] == pytest.approx(0.3 * (1 - 10 / n))
+    several = " ".join(f"w{i % 300_000}" for i in range(400_000))
+    assert knn_quality._matrix(pa.array([several, None]))[0][knn_quality.TERMS + 3] == pytest.approx(0.3 * 0.25)
+
+
 def test_language_model(spark):
     rows = [(i, t) for i, t in enumerate(texts(21, 60, 80))] + [(90, None), (91, ""), (91, "")]
     docs = spark.createDataFrame([(i, t, i % 7 != 2) for i, t in rows], DOCS + ", train boolean")
