@@ -13,6 +13,7 @@ third of all rows. The result is that of one pass over the whole conversation.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,9 @@ _STEPS: dict[tuple[int, int], tuple[int, ...] | None] = {
 _CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 
 
+_OPENS = re.compile("<(\u200b*)\\|")
+
+
 def role_of(name: str | None) -> int:
     """The state of a role name; START for an unknown or missing one."""
     return ALIASES.get((name or "").strip().lower(), START)
@@ -193,11 +197,21 @@ def _exit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OUT = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("action", pa.string()), ("rendered", pa.string())])
 
 
+def escaped(text: str) -> str:
+    """A turn's text with one more zero-width space in each `<|`, so that no text can end its turn or start another."""
+    return _OPENS.sub("<\\1\u200b|", text)
+
+
+def unescaped(text: str) -> str:
+    """The text that escaped() was given."""
+    return _OPENS.sub(lambda m: "<" + m[1][1:] + "|", text)
+
+
 def render(kind: str, role: int, text: str, first: bool) -> str:
     """A turn's part of the rendered conversation: a merged turn goes on with the text before it, another one first closes that."""
     if kind.endswith("merge"):
-        return "\n\n" + text
-    return ("" if first else "<|im_end|>\n") + f"<|im_start|>{ROLES[role]}\n{text}"
+        return "\n\n" + escaped(text)
+    return ("" if first else "<|im_end|>\n") + f"<|im_start|>{ROLES[role]}\n{escaped(text)}"
 
 
 def _repaired_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +241,7 @@ def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     role and text; a null turn comes first, a null text is empty, an unknown or null role may become any.
     Repeated rows are turns of their own. Rows without a conv_id are one conversation. Every input turn
     gives one row (action keep, relabel, merge or relabel_merge), every inserted empty turn one more
-    (turn null, action insert). The concatenation of `rendered` by (block, place) is the conversation.
+    (turn null, action insert). Texts are escaped() so that none can forge a turn. The concatenation of `rendered` by (block, place) is the conversation.
     Rows with the same turn number in a conversation must fit into a task's memory together.
     """
     rows = conversations.select("conv_id", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long").alias("block"), "turn", "role", "text")

@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import save, small
 
 PHRASE = 10
-#: Rows of a side broadcast at most; above it the join is a shuffle.
-BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,11 +24,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, th and text: repeated ids with different texts stay apart by a hash of the text."""
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
@@ -39,7 +32,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Postings (term, doc_id, th, pos) of the documents; `terms`: a table of the terms to keep."""
     rows = _keyed(docs).select("doc_id", "th", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return (rows if terms is None else rows.join(_small(terms), "term")).select("term", "doc_id", "th", "pos")
+    return (rows if terms is None else rows.join(small(terms), "term")).select("term", "doc_id", "th", "pos")
 
 
 def windows(items: DataFrame, size: int = PHRASE) -> DataFrame:
@@ -66,8 +59,8 @@ def phrase_starts(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """Places (win, doc_id, th, start) where the offset-adjusted lists of both anchor terms meet."""
 
     def shifted(which: str) -> DataFrame:
-        at = anchors.select("win", F.col(f"{which}.term").alias("term"), F.col(f"{which}.off").alias("off"))
-        return index.join(_small(at), "term").select("win", "doc_id", "th", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+        at = small(anchors).select("win", F.col(f"{which}.term").alias("term"), F.col(f"{which}.off").alias("off"))
+        return index.join(at, "term").select("win", "doc_id", "th", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
 
     one, two = shifted("a"), shifted("b").withColumnsRenamed({"win": "w", "doc_id": "d", "th": "t", "start": "s"})
     same = (F.col("win") == F.col("w")) & (F.col("th") == F.col("t")) & (F.col("start") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))
@@ -91,10 +84,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = PHRASE) -> Data
     anchors = save(rarest_terms(wins, counts), "bench-anchors")
     read = save(anchors.select(F.explode(F.array("a.term", "b.term")).alias("term")).distinct(), "anchor-terms")
     index = save(postings(docs, read), "postings")
-    starts = phrase_starts(index, anchors).join(_small(wins), "win")
+    starts = phrase_starts(index, anchors).join(small(wins), "win")
     places = save(starts.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "words", "items")).alias("_places")).withColumnsRenamed({"doc_id": "_id", "th": "_th"}), "places")
     rows = docs.withColumn("_words", words_of(F.col("text"))).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(_small(places), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    rows = rows.join(small(places), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     hits = F.filter("_places", lambda p: F.slice("_words", p["start"] + 1, F.size(p["words"])) == p["words"])
     rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("_hits", F.sort_array(F.transform(hits, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.size(p["words"])).alias("end"), p["items"].alias("items")))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -106,18 +99,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = PHRASE) -> Data
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, within: int = 10) -> DataFrame:
-    """Documents in which all terms of a query stand within `within` words of an occurrence of its rarest term.
+    """Places where all terms of a query stand within `within` words of an occurrence of its rarest term.
 
-    queries: query_id, text. Returns query_id, doc_id, pos (of the rarest term). Searched from the rarest
-    term: the other lists are met only where it occurs.
+    queries: query_id, text; their terms are the different words, and one without words matches nothing. Returns
+    query_id, doc_id, pos (of the rarest term, from 0; ties go to the smallest term), a row for each place and row of
+    `docs`; null texts have no words, rows that repeat a doc_id with different texts are searched each. Searched from the
+    rarest term: the other lists meet it by stretches of `within` words, its own and the two beside it, so that a
+    document's positions are never paired with all others.
     """
-    asked = save(queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")), "near-terms")
-    index = save(postings(docs, asked.select("term").distinct()), "near-postings")
+    asked = save(queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).distinct(), "near-terms")
+    terms = save(asked.select("term").distinct(), "near-vocabulary")
+    index = save(postings(docs, terms), "near-postings")
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     sized = asked.join(counts, "term", "left").groupBy("query_id").agg(F.count("*").alias("k"), F.count("n").alias("found"), F.min(F.struct("n", "term")).alias("rare"))
-    sized = sized.where("k = found").select("query_id", "k", F.col("rare.term").alias("rare"))
-    hit = index.withColumnsRenamed({"term": "rare"}).join(sized, "rare").select("query_id", "k", "doc_id", "th", "pos")
-    other = index.join(asked, "term").select("query_id", "term", F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
-    other = other.withColumnRenamed("query_id", "q")
-    met = hit.join(other, (F.col("query_id") == F.col("q")) & (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).where(F.abs(F.col("pos") - F.col("p")) <= within)
+    sized = save(sized.where("k = found").select("query_id", "k", F.col("rare.term").alias("rare")), "near-queries")
+    hit = index.withColumnsRenamed({"term": "rare"}).join(small(sized), "rare").select("query_id", "k", "doc_id", "th", "pos")
+    beside = F.explode(F.sequence(F.expr(f"pos div {int(within) + 1}") - 1, F.expr(f"pos div {int(within) + 1}") + 1)).alias("stretch")
+    hit = hit.select("*", beside)
+    other = index.join(small(asked), "term").select(F.col("query_id").alias("q"), "term", F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), F.expr(f"pos div {int(within) + 1}").alias("s"))
+    same = F.col("query_id").eqNullSafe(F.col("q")) & (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("stretch") == F.col("s"))
+    met = hit.join(other, same).where(F.abs(F.col("pos") - F.col("p")) <= within)
     return met.groupBy("query_id", "doc_id", "th", "pos", "k").agg(F.count_distinct("term").alias("n")).where("n = k").select("query_id", "doc_id", "pos")

@@ -92,6 +92,7 @@ def _finish(counts: np.ndarray, facts: np.ndarray) -> np.ndarray:
     some = np.maximum(words, 1)
     share = np.stack([symbols / some, capitals / np.maximum(letters, 1), repeated / np.maximum(words - 1, 1), 1 - fresh / some, np.minimum(1, 8 / some), np.minimum(1, size / some / 40)], axis=1)
     out[:, TERMS:] = np.minimum(share, 1.0) * np.array([1, 1, 1, 0.3, 0.1, 0.1]) * (words > 0)[:, None]
+    out[words == 0] = 0
     return out
 
 
@@ -119,6 +120,9 @@ class Model:
     """The latent space (idf weights and basis) and the labelled vectors in it."""
 
     def __init__(self, terms: np.ndarray, labels: np.ndarray, rank: int = RANK):
+        self.vectors = np.zeros((0, rank), dtype=np.float32)
+        if not len(terms):
+            return
         present = (terms[:, :TERMS] > 0).sum(axis=0)
         self.weight = np.ones(terms.shape[1], dtype=np.float32)
         self.weight[:TERMS] = np.log((1 + len(terms)) / (1 + present)) + 0.3
@@ -143,33 +147,35 @@ class Model:
         return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
 
     def score(self, terms: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        """Share of label 1 in the weighted votes of the k nearest; one half where there is no similarity at all."""
+        """Share of label 1 in the weighted votes of the k nearest; one half where nothing is similar, 0 for a text without words."""
+        if not len(self.vectors):
+            return np.where(terms.any(axis=1), 0.5, 0.0)
+        some = terms.any(axis=1)
         near = self._unit(self._weighted(terms) @ self.basis) @ self.vectors.T
         k = min(k, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
         vote = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** 8
-        return ((vote * self.labels[top]).sum(axis=1) + 5e-4) / (vote.sum(axis=1) + 1e-3)
+        return np.where(some, ((vote * self.labels[top]).sum(axis=1) + 5e-4) / (vote.sum(axis=1) + 1e-3), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents of each class; labels need doc_id and the 0/1 column `label`.
 
-    Rows without a label or a text of that doc_id are left out. At most 2 * sample vectors reach the driver.
+    Rows without a label or a text of that doc_id are left out, and so are ids with both labels. Of rows that
+    repeat a doc_id the least text counts. At most 2 * sample vectors reach the driver. With nothing to learn
+    from, every text with words scores one half.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     order = F.xxhash64("doc_id", F.lit("sample"))
     chosen = None
     for c in (0, 1):
         part = known.where(F.col("label") == c).orderBy(order, "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     ids = [(r.doc_id, r.label) for r in chosen.collect()]
-    if not ids:
-        raise ValueError("no labelled row to learn from")
     small = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").mapInArrow(_features, "doc_id long, label int, terms binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, terms binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
-    if not rows:
-        raise ValueError("no labelled row has a document")
     terms = np.empty((len(rows), TERMS + STYLE), dtype=np.float32)
     for i, r in enumerate(rows):
         terms[i] = np.frombuffer(r.terms, dtype=np.float16)
@@ -190,8 +196,8 @@ def _scores(shared, text_at: int):
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, all columns kept, with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
-    Only the text is used, the whole of it. A null, empty or very short text has no similarity to anything and scores
-    one half. Input columns named score or predicted are replaced. One pass without a shuffle.
+    Only the text is used, the whole of it. A text without words (null, empty, blank) scores 0; one like nothing in
+    the sample scores one half. An empty table gives an empty one; repeated rows are scored each. Input columns named score or predicted are replaced. One pass without a shuffle.
     """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)

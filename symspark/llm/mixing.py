@@ -97,7 +97,8 @@ def numbered(docs: DataFrame, rows: int) -> DataFrame:
     digits = 0
     while rows > WINDOW_ROWS * 16**digits and digits < 8:
         digits += 1
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    whole = F.xxhash64(*(F.col(c) for c in docs.columns)).cast("string")  # rows without an id go by what they hold
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), whole)).cast("binary"))
     keyed = docs.withColumn("src", source_key()).withColumn("_o", order).withColumn("_b", F.substring("_o", 1, digits) if digits else F.lit(""))
     ties = [F.col(c) for c in ("text",) if c in docs.columns]
     inner = F.row_number().over(Window.partitionBy("src", "_b").orderBy("_o", *ties)) - 1
@@ -114,15 +115,15 @@ def mix(docs: DataFrame, targets: Mapping[str | None, float] | None = None, gran
     and slot are the block's; position = slot * block size + the row's place in its block. Within a
     source rows go by the MD5 digest of their doc_id (then by text). Weights come from `targets` or, without, go
     with the square roots of the sources' sizes. Every row is returned once; an empty table gives an
-    empty one; a null source counts as a source, a null doc_id as an empty one. Input columns of these
-    names are replaced. There may be at most `granularity` sources.
+    empty one; a null source counts as a source; rows without a doc_id go by a hash of the whole row. Input columns of these
+    names are replaced. With more than half as many sources as `granularity` the period has two slots for each source;
+    making it takes time in the square of the number of sources (bounded by their number, not by the rows).
     """
     made = ("block", "release", "deadline", "slot", "position")
     docs = docs.drop(*made, "src", "n")
     sizes = save(docs.groupBy(source_key().alias("source")).agg(F.count("*").alias("n")), "mix-sizes")
     k, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if k > granularity:
-        raise ValueError(f"{k} sources need a granularity of at least as many slots")
+    granularity = max(granularity, 2 * k)
     weights = root_weights(sizes, granularity) if targets is None else given_weights(sizes, targets, granularity)
     plan = save(period(save(weights, "mix-weights")), "mix-period").withColumnRenamed("source", "of")
     rows = numbered(docs, total).withColumn("block", F.expr(f"n div {int(block)}"))

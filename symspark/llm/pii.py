@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -90,7 +90,7 @@ _TELL_SPACE = re.compile(r"[A-Za-z0-9] @|@ [A-Za-z0-9]")
 _LONGER = tuple(w for w in DIGIT_WORDS if w != "one")
 _TELL_WORD = re.compile(r"(?:" + "|".join(_LONGER) + r")[ .,-]{1,3}(?:" + _SPELLED + r"|[0-9])|(?:" + _SPELLED + r"|[0-9])[ .,-]{1,3}(?:" + "|".join(_LONGER) + r")")
 _TELL_ONES = re.compile(r"one[ .,-]{1,3}(?:one|[0-9])|[0-9][ .,-]{1,3}one")
-_MARK = re.compile(r"(?i) *[\[({<] *(?P<in>at|dot|@|\.) *[\])}>] *")
+_MARK = re.compile(r"(?i)(?<! ) *[\[({<] *(?P<in>at|dot|@|\.) *[\])}>] *")
 _BARE_AT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-]) +(?:at +(?=[A-Za-z0-9-]+(?: +dot +[A-Za-z0-9]|(?:\.[A-Za-z0-9-]+)*\.(?:" + _TLD + r")\b))|@ *(?=[A-Za-z0-9-]+(?: +dot +|\.)[A-Za-z0-9]))|(?<=[A-Za-z0-9_%+-])@ +(?=[A-Za-z0-9-]+(?: +dot +|\.)[A-Za-z])")
 _BARE_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9]) +dot +(?=[A-Za-z0-9])")
 _RUN = re.compile(r"(?i)\b(?:plus +)?(?:" + _SPELLED + r"|[0-9]+)(?:[ .,-]{1,3}(?:" + _SPELLED + r"|[0-9]+)\b)*")
@@ -238,6 +238,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, counts of base spans by kind, base_sha256, and all spans as kind:start:end.
 
+    Disguises known: look-alike and full-width characters, digits of other scripts, invisible characters, English digit
+    words, and at/dot in brackets, in words or set apart by blanks. A bare word `at` before a host name without a
+    spelled dot counts only before the top-level domains listed in _TLD, as prose is full of that word.
+
     Null and empty texts have no spans; rows with a null or repeated doc_id are kept as they are; other
     columns are ignored. Offsets are code points, ends exclusive. One pass without a shuffle.
     """

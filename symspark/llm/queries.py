@@ -147,7 +147,7 @@ c AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > 5 * len(every_line)
         OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))
-        OR 20 * len(list_distinct(w)) < least(len(w), 2000)) AS kept
+        OR len(list_distinct(w)) * len(list_distinct(w)) < len(w)) AS kept
 FROM f
 """
 

@@ -6,14 +6,27 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a saved table (compressed Parquet) and its rows up to which it may be broadcast; beyond either it is joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
+_own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir.
+
+    Where that is unset: in local mode (tests) a temporary folder of the machine, elsewhere a ValueError, as each
+    executor of a cluster would write to its own disk.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="symspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="symspark-")
+        root = _own[sc.applicationId]
     return root.rstrip("/")
 
 
@@ -34,8 +47,33 @@ def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     return kept
 
 
+def save_sorted(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write `df` as a table in the shared folder, bucketed and sorted by `key`, so that joins and aggregations by it need no shuffle of it."""
+    spark = df.sparkSession
+    path, table = new_folder(spark, name), f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    kept = spark.table(table)
+    kept._symspark_path, kept._symspark_table = path, table
+    return kept
+
+
+def saved_bytes(df: DataFrame) -> int:
+    """Size of a table made by save()."""
+    spark, path = df.sparkSession, df._symspark_path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table, marked for broadcast where its measured bytes and rows are within the bounds; else as it is."""
+    return F.broadcast(df) if saved_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
+
+
 def remove(df: DataFrame) -> None:
-    """Delete a table made by save(); only when no live plan reads it any more."""
+    """Delete a table made by save() or save_sorted(); only when no live plan reads it any more."""
     spark, path = df.sparkSession, df._symspark_path
+    if table := getattr(df, "_symspark_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

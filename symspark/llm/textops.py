@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
+#: Words of more bytes are hashed by XXH3: a polynomial modulo 2^64 has known collisions of words of some 1024 letters.
+LONG_WORD = 48
 #: Bytes hashed in one numpy pass; bounds the working arrays whatever the length of a text.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -69,6 +72,8 @@ def words_of_bytes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     total = np.zeros(n + 1, dtype=U64)
     np.cumsum((low.astype(U64) + U64(1)) * power[:n], out=total[1:])
     h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(low[starts[k] : ends[k]])
     counts = np.diff(np.searchsorted(starts, bounds))
     return h, starts, ends, counts
 

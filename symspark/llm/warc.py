@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import save, small
+
 SEGMENT = 32 * 1024
 CHUNK = 8 * 1024
 #: Records in an archive file at most: a file holds no more than RECORDS * SEGMENT bytes, headers aside.
 RECORDS = 2048
 #: Payloads below this size are always written in full.
 LEAST_REVISIT = 100
-#: Revisit decisions broadcast at most; above it they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 _VERSION = b"WARC/1.1\r\n"
 _DATE = "2020-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -166,9 +166,7 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT, record
     facts = keyed.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest")
     first = facts.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
     revisits = facts.join(first, "digest").where("not page_id <=> refers_to").distinct().withColumnsRenamed({"page_id": "p", "digest": "d"})
-    if revisits.count() <= BROADCAST_ROWS:
-        revisits = F.broadcast(revisits)
-    rows = keyed.join(revisits, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
+    rows = keyed.join(small(save(revisits, "warc-revisits")), (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
     rows = rows.select("page_id", "url", "html", "digest", F.col("d").isNotNull().alias("revisit"), "refers_to")
     text = rows.mapInArrow(_write_rows(segment), "record binary").select(F.col("record").cast("string").alias("value"))
     text.write.option("compression", "gzip").option("maxRecordsPerFile", records).text(folder)
@@ -233,6 +231,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Logical records of the archives under `folder`: record_type, page_id, url, digest, refers_to, payload.
 
     Segmented records are whole again; a revisit has an empty payload and names the page it refers to.
+    A file is read whole by one task, so archives of others should be cut into files that fit into a task's memory.
     Whole records are decoded where they are read; only pieces of segmented ones are shuffled, by origin.
     """
     files = spark.read.format("binaryFile").load(folder).select("content")
@@ -244,7 +243,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_digests(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; sizes of revisits come from the records they refer to."""
-    own = records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"))
+    # the archives are read once: only ids, sizes and digests are kept
+    own = save(records.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest")), "warc-digests")
     sizes = own.where("record_type = 'response'").groupBy("payload_digest", F.col("page_id").alias("refers_to")).agg(F.max("n").alias("of"))
     joined = own.join(sizes, ["payload_digest", "refers_to"], "left")
     return joined.select("page_id", F.coalesce("of", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
