@@ -1,6 +1,6 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table sorted by line hash that holds, for each line key, in how many documents it stands and
+A run is a table bucketed and sorted by line hash that holds, for each line key, in how many documents it stands and
 the largest doc_id among them. Documents come in batches of falling doc_id, so that the largest holder
 of a key comes first and a key is settled once enough documents hold it. A batch is merge-anti-joined
 with the runs, which takes out settled keys, and what is left becomes a run of its own. When a level has
@@ -14,44 +14,32 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import remove, save
-from .textops import LOWER_TABLE, SPACES
+from .store import remove, save, save_sorted, small
+from .textops import LOWER_TABLE
 
-#: Keys to drop that are broadcast at most (pairs of document and key); above it they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+SPACES = " \t\n\x0b\x0c\r"
 
-
-def line_key(line: bytes, least: int) -> bytes | None:
-    """The key of a line (stripped of ASCII whitespace, A-Z lower-cased), or None below `least` code points."""
-    line = line.strip(SPACES)
-    if len(line) < least:
-        return None
-    if not line.isascii() and sum(b & 0xC0 != 0x80 for b in line) < least:
-        return None
-    return line.translate(LOWER_TABLE)
+#: Documents of a batch at most; a table is dealt into BATCHES of them at least.
+BATCH_ROWS, BATCHES = 50_000_000, 4
+#: Rows that the rewriting step holds as Python objects at once.
+SLICE = 512
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _hash(key: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(key)
+def line_key(line: Column) -> Column:
+    """The key of a line: stripped of ASCII whitespace, A-Z lower-cased."""
+    line = F.btrim(line, F.lit(SPACES))
+    return F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
 
 
-def _occurrences(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not value.is_valid or doc is None:
-                    continue
-                own = {k for line in value.as_buffer().to_pybytes().split(b"\n") if len(line) >= least and (k := line_key(line, least)) is not None}
-                keys += [_hash(k) for k in own]
-                ids += [doc] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), pa.array(ids, type=pa.int64())], names=["key", "doc_id"])
-
-    return run
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(key, doc_id) of every different line key of at least `least` code points in each row of `docs`; a key is the MD5 digest of its text."""
+    long = F.filter(F.split("text", "\n", -1), lambda x: F.octet_length(x) >= least)
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(F.array_distinct(F.transform(long, line_key))).alias("k"))
+    return rows.where(F.char_length("k") >= least).select(F.unhex(F.md5(F.col("k").cast("binary"))).alias("key"), "doc_id")
 
 
 class RunStore:
@@ -60,7 +48,7 @@ class RunStore:
     n_docs of a settled key is a lower bound; last_doc is exact once the key is settled.
     """
 
-    def __init__(self, least_docs: int = 3, fan_in: int = 4):
+    def __init__(self, least_docs: int = 3, fan_in: int = 2):
         self.least_docs, self.fan_in = least_docs, fan_in
         self.levels: list[list[DataFrame]] = [[]]
 
@@ -69,27 +57,39 @@ class RunStore:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
+        """One table of the runs' keys: sorted, bucketed runs meet in merge joins."""
+        every = runs[0].select("key", "n_docs", "last_doc")
         for r in runs[1:]:
-            every = every.union(r)
-        return every.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            other = r.select("key", F.col("n_docs").alias("n2"), F.col("last_doc").alias("l2")).hint("merge")
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))
+            every = every.join(other, "key", "full_outer").select("key", n.alias("n_docs"), F.greatest("last_doc", "l2").alias("last_doc"))
+        return every
 
     def add(self, occurrences: DataFrame) -> None:
         """Take a batch of (key, doc_id), whose ids are below those of earlier batches, as a sorted run; compact full levels."""
         run = self.unsettled(occurrences.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
-        self.levels[0].append(save(run.sortWithinPartitions("key"), "line-run-0"))
+        self.levels[0].append(save_sorted(run, "line_run_0", "key"))
         for k in range(len(self.levels)):
             if len(level := self.levels[k]) >= self.fan_in:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(save(self._merged(level).sortWithinPartitions("key"), f"line-run-{k + 1}"))
+                self.levels[k + 1].append(save_sorted(self._merged(level), f"line_run_{k + 1}", "key"))
                 self.levels[k] = []
                 for r in level:
                     remove(r)
 
+    def clear(self) -> None:
+        for r in self.runs():
+            remove(r)
+        self.levels = [[]]
+
     def unsettled(self, rows: DataFrame) -> DataFrame:
-        """The rows whose keys the runs don't hold often enough yet: a merge-anti-join with the runs."""
-        return rows.join(self.frequent().select("key").hint("merge"), "key", "left_anti") if self.runs() else rows
+        """The rows whose keys the runs don't hold often enough yet: a merge-anti-join with the runs, whose counts add up."""
+        held = F.lit(0).cast("long")
+        for k, r in enumerate(self.runs()):
+            rows = rows.join(r.select("key", F.col("n_docs").alias(f"_n{k}")).hint("merge"), "key", "left")
+            held = held + F.coalesce(f"_n{k}", F.lit(0))
+        return rows.where(held < self.least_docs).select("key", "n_docs", "last_doc")
 
     def frequent(self) -> DataFrame:
         """Keys that stand in enough documents over all runs, with the largest doc_id of each."""
@@ -97,60 +97,77 @@ class RunStore:
         return (runs[0] if len(runs) == 1 else self._merged(runs)).where(F.col("n_docs") >= self.least_docs)
 
 
+def _key(line: bytes, least: int) -> bytes | None:
+    """The digest that occurrences() gives to a line, or None below `least` code points."""
+    line = line.strip(SPACES.encode())
+    if len(line) < least or (not line.isascii() and sum(b & 0xC0 != 0x80 for b in line) < least):
+        return None
+    return hashlib.md5(line.translate(LOWER_TABLE), usedforsecurity=False).digest()
+
+
 def _rewrite(least: int, columns: list[str]):
     at, drop_at = columns.index("text"), columns.index("drop_keys")
 
+    def rewritten(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, lines_of, dropped_of = [], [], []
+        for value, gone in zip(batch.column(at), batch.column(drop_at), strict=True):
+            raw = value.as_buffer().to_pybytes() if value.is_valid else None
+            lines_of.append((raw.count(b"\n") if raw else 0) + 1)
+            if gone.is_valid and raw:
+                keys = {k.as_py() for k in gone.values}
+                kept = [line for line in raw.split(b"\n") if _key(line, least) not in keys]
+                raw = b"\n".join(kept)
+                dropped_of.append(lines_of[-1] - len(kept))
+            else:
+                dropped_of.append(0)
+            texts.append(raw)
+        rest = [c for i, c in enumerate(batch.columns) if i not in (at, drop_at)]
+        names = [c for i, c in enumerate(columns) if i not in (at, drop_at)]
+        return pa.RecordBatch.from_arrays([*rest, pa.array(texts, type=pa.binary()).cast(pa.string()), pa.array(lines_of, type=pa.int64()), pa.array(dropped_of, type=pa.int64())], names=[*names, "text", "n_lines", "n_dropped"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines_of, dropped_of = [], [], []
-            for value, gone in zip(batch.column(at), batch.column(drop_at), strict=True):
-                raw = value.as_buffer().to_pybytes() if value.is_valid else None
-                n = (raw.count(b"\n") if raw else 0) + 1
-                dropped = 0
-                if gone.is_valid and raw:
-                    out, keys = [], {k.as_py() for k in gone.values}
-                    for line in raw.split(b"\n"):
-                        if (k := line_key(line, least)) is not None and _hash(k) in keys:
-                            dropped += 1
-                        else:
-                            out.append(line)
-                    raw = b"\n".join(out)
-                texts.append(raw)
-                lines_of.append(n)
-                dropped_of.append(dropped)
-            rest = [c for i, c in enumerate(batch.columns) if i not in (at, drop_at)]
-            names = [c for i, c in enumerate(columns) if i not in (at, drop_at)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, type=pa.binary()).cast(pa.string()), pa.array(lines_of, type=pa.int64()), pa.array(dropped_of, type=pa.int64())], names=[*names, "text", "n_lines", "n_dropped"])
+            for i in range(0, batch.num_rows, SLICE):
+                yield rewritten(batch.slice(i, SLICE))
 
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 4, fan_in: int = 4) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int | None = None, fan_in: int = 2) -> DataFrame:
     """The documents, all their columns kept, with repeated lines dropped, and n_lines and n_dropped added.
 
     A key of at least `least_chars` code points that stands in at least `least_docs` documents loses all
     its lines except in the largest doc_id that holds it (there all of them stay). Lines are split at
-    \\n; a null text stays null and counts as one empty line. A document without a doc_id takes no part
-    and is kept as it is; rows that repeat a doc_id count as one document each. Input columns named
-    n_lines, n_dropped or drop_keys are replaced. Keys are compared by 128-bit hashes.
+    \\n; a null text stays null and counts as one empty line, an empty one stays empty. A document without
+    a doc_id takes no part and is kept as it is; rows that repeat a doc_id are one document, whose rows each
+    keep or lose their lines. An empty table gives an empty one. Input columns named n_lines, n_dropped or
+    drop_keys are replaced. Keys are compared by their MD5 digests: two lines of one digest would count as
+    one. `batches`: by default as many as the rows ask for, BATCHES at least.
     """
     docs = docs.drop("n_lines", "n_dropped", "drop_keys")
-    found = docs.select("doc_id", "text").mapInArrow(_occurrences(least_chars), "key binary, doc_id long")
-    cuts = docs.select(F.percentile_approx("doc_id", [(batches - k) / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    slim = docs.select("doc_id", "text")
+    repeated = save(slim.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "line-repeated")
+    found = occurrences(slim, least_chars)
+    if repeated.count():
+        ids = small(repeated)
+        found = found.join(ids, "doc_id", "left_anti").select("key", "doc_id").union(found.join(ids, "doc_id", "left_semi").select("key", "doc_id").distinct())
+    if batches is None:
+        batches = max(BATCHES, -(-slim.count() // BATCH_ROWS))
+    cuts = slim.select(F.percentile_approx("doc_id", [(batches - k) / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     batch = F.lit(0)
     for cut in cuts or []:
         batch = batch + (F.col("doc_id") < F.lit(cut)).cast("int")
-    found = save(found.withColumn("batch", batch), "line-keys", ["batch"])
+    found = save(found.withColumn("batch", batch), "line-keys")
     store = RunStore(least_docs, fan_in)
     for b in range(batches):
         store.add(found.where(F.col("batch") == b).select("key", "doc_id"))
-    frequent = store.frequent().select("key", "last_doc")
-    gone = found.select("key", "doc_id").join(frequent, "key").where("doc_id <> last_doc")
-    gone = save(gone.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("drop_keys"), F.count("*").alias("n")), "line-drops")
-    if (gone.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS:
-        joined = docs.join(F.broadcast(gone.drop("n")), F.col("doc_id") == F.col("of"), "left").drop("of")
-    else:
-        joined = docs.join(gone.drop("n"), F.col("doc_id") == F.col("of"), "left").drop("of")
+    frequent = save(store.frequent().select("key", "last_doc"), "line-frequent")
+    # a very common line is one key: where the keys are too many to broadcast, adaptive execution splits its rows among tasks
+    gone = found.select("key", "doc_id").join(small(frequent), "key").where("doc_id <> last_doc")
+    gone = save(gone.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("drop_keys")), "line-drops")
+    store.clear()
+    remove(found)
+    joined = docs.join(small(gone), F.col("doc_id") == F.col("of"), "left").drop("of")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     rest = [c for c in joined.columns if c not in ("text", "drop_keys")]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + (", " if rest else "") + "text string, n_lines long, n_dropped long"
