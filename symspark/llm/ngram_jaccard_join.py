@@ -30,17 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import save
+from .store import remove, save, small
 from .textops import U64, list_array, mix, pieces, shingle_hashes, word_hashes
 
-#: Ids broadcast at most (8 bytes each); above it the texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: Sets compared in one task; a larger candidate group is compared block against block.
-BLOCK = 2048
-
-
+#: Sets of a block; a candidate group is compared block against block, so that a task holds two blocks.
+BLOCK = 512
 #: Elements that a signature should stand for on average, in the smallest sets of an instance.
-HELD = 3.5
+HELD = 3.0
 
 
 class Bands(NamedTuple):
@@ -144,19 +140,23 @@ def signatures(value: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.n
     return found[order], np.bincount(owner, minlength=docs)
 
 
+def _identity(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set's elements and size, the class of its copies; 0 for an empty set."""
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros(len(sizes), dtype=U64)
+    if len(value):
+        edge = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+        one, two = np.add.reduceat(mix(value), edge), np.add.reduceat(mix(value * U64(0x9FB21C651E98DF25) + U64(1)), edge)
+        out[who[edge]] = mix(one ^ mix(two + sizes[who[edge]].astype(U64)))
+    return out
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for i, j, data, bounds in pieces(text):
+            for i, j, data, bounds in pieces(batch.column(1)):
                 value, sizes = _sets(data, bounds, size)
-                who = np.repeat(np.arange(j - i), sizes)
-                one, two = np.zeros(j - i, dtype=U64), np.zeros(j - i, dtype=U64)
-                if len(value):
-                    edge = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-                    one[who[edge]] = np.add.reduceat(mix(value), edge)
-                    two[who[edge]] = np.add.reduceat(mix(value * U64(0x9FB21C651E98DF25) + U64(1)), edge)
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(sizes, type=pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["doc_id", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes, type=pa.int64()), pa.array(_identity(value, sizes).view(np.int64))], names=["doc_id", "n", "node"])
 
     return run
 
@@ -166,10 +166,10 @@ def _signature_rows(size: int, similarity: Fraction, top: int = 1 << 40):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j, data, bounds in pieces(batch.column(1)):
-                sig, each = signatures(*_sets(data, bounds, size), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(ids[i:j], each))], names=["sig", "rep"])
+            for _, _, data, bounds in pieces(batch.column(0)):
+                value, sizes = _sets(data, bounds, size)
+                sig, each = signatures(value, sizes, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(_identity(value, sizes).view(np.int64), each))], names=["sig", "node"])
 
     return run
 
@@ -177,9 +177,9 @@ def _signature_rows(size: int, similarity: Fraction, top: int = 1 << 40):
 def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in pieces(batch.column(1)):
+            for _, _, data, bounds in pieces(batch.column(0)):
                 value, sizes = _sets(data, bounds, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], list_array(value.view(np.int64), sizes, pa.int64()), *(c[i:j] for c in batch.columns[2:])], names=["rep", "items", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([pa.array(_identity(value, sizes).view(np.int64)), list_array(value.view(np.int64), sizes, pa.int64())], names=["node", "items"])
 
     return run
 
@@ -188,19 +188,19 @@ def _pairs_to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """From rows sorted by signature: each set with the first one of its signature. Holds one row between batches."""
     last, first = None, 0
     for batch in batches:
-        sig, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(sig):
             continue
         head = np.concatenate(([True], sig[1:] != sig[:-1]))
         if last is not None and sig[0] == last:
             head[0] = False
         run = np.cumsum(head) - 1
-        firsts = rep[head]
+        firsts = node[head]
         a = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else first, first)
         last, first = sig[-1], a[-1]
-        keep = a != rep
+        keep = a != node
         if keep.any():
-            pair = np.unique(np.stack([a[keep], rep[keep]], axis=1), axis=0)
+            pair = np.unique(np.stack([a[keep], node[keep]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
@@ -236,7 +236,7 @@ def _compare(similarity: Fraction):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, copies, side = table["rep"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
+        rep, copies, side = table["node"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
         column = table["items"].combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         flat, bounds = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy()))))
@@ -258,7 +258,7 @@ def _compare(similarity: Fraction):
                 near = linked[front].any(axis=0) & (label < 0)
                 front = np.flatnonzero(near)
                 label[front] = at
-        return pa.table({"rep": pa.array(rep), "root": pa.array(rep[label]), "links": pa.array(counts.astype(np.int64))})
+        return pa.table({"node": pa.array(rep), "root": pa.array(rep[label]), "links": pa.array(counts.astype(np.int64))})
 
     return run
 
@@ -268,46 +268,63 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float | str | Fr
 
     docs: doc_id (BIGINT) and text (STRING); other columns are ignored. Words are runs without ASCII
     whitespace, A-Z lower-cased. A text of fewer than `size` words is one shingle of all its words; a
-    null, empty or blank text has none and links with nothing (it is its own component). Repeated rows
-    give repeated results; a null doc_id keeps its row with a null component unless copies have an id.
-    component_id: the smallest doc_id reachable by links, itself included. n_links: documents linked
-    directly, copies included. Shingles are compared by 64-bit hashes.
+    null, empty or blank text has none and links with nothing (it is its own component). Rows that repeat
+    a doc_id are documents of their own, each with its own links; a null doc_id keeps its row with a null
+    component unless copies have an id. An empty table gives an empty one. component_id: the smallest
+    doc_id reachable by links, itself included. n_links: documents linked directly, copies included. Shingles
+    and sets are compared by 64-bit hashes: two sets of one hash would count as copies.
     """
     similarity = Fraction(str(similarity)) if not isinstance(similarity, Fraction) else similarity
-    rows = save(docs.select("doc_id", "text").mapInArrow(_describe(size), "doc_id long, n long, f1 long, f2 long"), "jaccard-sets")
+    rows = save(docs.select("doc_id", "text").mapInArrow(_describe(size), "doc_id long, n long, node long"), "jaccard-sets")
     some = rows.where("n > 0")
-    classes = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # signatures are many times the size of the ids, so they are made from the texts anew rather than kept
-    others = save(some.select("doc_id").distinct().join(classes, F.col("doc_id") == F.col("rep"), "left_anti"), "jaccard-copies")
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
-    texts = texts.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc_id", "left_anti")
-    spread = texts.mapInArrow(_signature_rows(size, similarity), "sig long, rep long")
-    pairs = save(spread.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_pairs_to_first, "a long, b long").distinct(), "jaccard-pairs")
+    classes = save(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
+    # one text of each class goes on; signatures are many times the size of the ids, so they are made from the texts anew rather than kept
+    others = save(some.select("doc_id").distinct().join(classes, F.col("doc_id") == F.col("rep"), "left_anti").select("doc_id"), "jaccard-copies")
+    texts = docs.select("doc_id", "text").where("doc_id is not null").join(small(others), "doc_id", "left_anti")
+    often = save(some.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id").distinct(), "jaccard-repeats")
+    if often.count():  # whole rows that repeat are read once
+        texts = texts.join(small(often), "doc_id", "left_anti").union(texts.join(small(often), "doc_id", "left_semi").distinct())
+    spread = texts.select("text").mapInArrow(_signature_rows(size, similarity), "sig long, node long")
+    pairs = save(spread.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_pairs_to_first, "a long, b long").distinct(), "jaccard-pairs")
     groups = save(components(pairs), "jaccard-groups")
-    counted = groups.groupBy("component").agg(F.count("*").alias("m"))
-    member = groups.join(counted, "component").join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("doc_id"), "component", "m", "copies")
+    counted = save(groups.groupBy("component").agg(F.count("*").alias("m")), "jaccard-sizes")
+    member = groups.join(small(counted), "component").join(classes, "node").select("node", "rep", "component", "m", "copies")
     member = save(member, "jaccard-members")
-    if member.count() <= BROADCAST_IDS:
-        texts = docs.select("doc_id", "text").join(F.broadcast(member), "doc_id")
-    else:
-        texts = docs.select("doc_id", "text").join(member, "doc_id")
-    sets = texts.select("doc_id", "text", "component", "m", "copies").mapInArrow(_set_rows(size), "rep long, items array<long>, component long, m long, copies long").dropDuplicates(["rep"])
+    wanted = texts.join(small(save(member.select("rep").distinct(), "jaccard-wanted")), F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = wanted.select("text").mapInArrow(_set_rows(size), "node long, items array<long>").join(small(member), "node").dropDuplicates(["node"])
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("rep", "items", "copies", "component", "block", other)
+    dealt = dealt.select("node", "items", "copies", "component", "block", other)
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-    found = save(dealt.groupBy("component", "lo", "hi").applyInArrow(_compare(similarity), "rep long, root long, links long"), "jaccard-links")
-    joined = components(found, "rep", "root")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    found = save(dealt.groupBy("component", "lo", "hi").applyInArrow(_compare(similarity), "node long, root long, links long"), "jaccard-links")
+    joined = save(components(found, "node", "root"), "jaccard-joined")
+    least = save(joined.join(classes, "node").groupBy("component").agg(F.min("rep").alias("least")), "jaccard-least")
+    links = found.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
+    own = joined.join(small(least), "component").select(F.col("node").alias("at"), "least")
     of_class = (
-        classes.join(joined, classes.rep == joined.node, "left")
-        .join(links.withColumnRenamed("rep", "linked"), F.col("rep") == F.col("linked"), "left")
-        .select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    return rows.select("doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2", "n"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        classes.join(own, F.col("node") == F.col("at"), "left")
+        .join(links, F.col("node") == F.col("linked"), "left")
+        .select("node", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    of_class = save(of_class, "jaccard-result")
+    for done in (others, often, pairs, groups, counted, member, found, joined, least, classes):
+        remove(done)
+    filled = rows.where("n > 0").join(small(of_class), "node").select("doc_id", "n", "component", "n_links")
+    blank = rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    return filled.union(blank).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "n_links")
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float | str | Fraction = "0.8") -> DataFrame:
+    """The documents, all columns kept, without those of which near_duplicates() names a smaller one.
+
+    Rows that repeat a doc_id are one document: it goes if all its rows link to smaller ones, and of its
+    equal texts one stays. Rows without a doc_id and blank texts stay.
+    """
+    found = near_duplicates(docs, size, similarity).where("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("goes"), F.count("*").alias("rows"))
+    found = save(found.where("goes = 1 or rows > 1"), "jaccard-goes")
+    gone, often = save(found.where("goes = 1").select("doc_id"), "jaccard-gone"), save(found.where("goes = 0").select("doc_id"), "jaccard-often")
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if often.count():
+        kept = kept.join(small(often), "doc_id", "left_anti").select(*docs.columns).union(kept.join(small(often), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return kept
