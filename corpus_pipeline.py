@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from symspark.llm import decontaminate, knn_quality, line_dedup, mixing, ngram_jaccard_join
 from symspark.llm.store import save
 
-#: Documents removed whose ids are broadcast at most; above it they are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels not held out, doesn't reject."""
@@ -27,9 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the smallest id."""
-    gone = ngram_jaccard_join.near_duplicates(docs, size=5, similarity="0.8").where("doc_id <> component_id").select("doc_id")
-    gone = save(gone, "pipeline-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_jaccard_join.keep_one(docs, size=5, similarity="0.8")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
