@@ -61,7 +61,8 @@ def op8_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder("doc_id", 7) == 2, F.lit(False))
-    model = pitman_yor.fit(docs.select("text", (~held_out).alias("train")))
+    docs = docs.select("doc_id", "text", (~held_out).alias("train"))
+    model = pitman_yor.fit(docs)
     return pitman_yor.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from symspark.llm import chat_repair, components, decontaminate, knn_quality, line_dedup, mixing, ngram_jaccard_join, pii, pitman_yor, quality_cascade, warc
+from symspark.llm import chat_repair, components, decontaminate, knn_quality, line_dedup, mixing, ngram_jaccard_join, pii, pitman_yor, quality_cascade, textops, warc
 from symspark.llm.store import new_folder
 
 DOCS = "doc_id long, text string"
@@ -279,25 +279,77 @@ def test_classifier_counts_distinct_words_at_every_length():
     assert knn_quality._matrix(pa.array([several, None]))[0][knn_quality.TERMS + 3] == pytest.approx(0.3 * 0.25)
 
 
-def test_language_model(spark):
-    rows = [(i, t) for i, t in enumerate(texts(21, 60, 80))] + [(90, None), (91, ""), (91, "")]
+def test_tables_are_seated_customer_by_customer():
+    r = np.random.default_rng(8)
+    for c, mass, d in ((2, 0.5, 0.5), (7, 3.0, 0.3), (40, 25.0, 0.75), (300, 1e-3, 0.5), (300, 60.0, 0.0)):
+        chance = np.zeros(c + 1)
+        chance[1] = 1  # of t tables when one customer sits
+        for n in range(1, c):
+            t = np.arange(c + 1)
+            opens = np.where(t > 0, mass / (mass + np.maximum(n - d * t, 0)), 0)
+            chance = chance * (1 - opens) + np.concatenate(([0], (chance * opens)[:-1]))
+        want, spread = (chance * np.arange(c + 1)).sum(), (chance * np.arange(c + 1) ** 2).sum()
+        got = pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, mass), d, r.integers(0, 1 << 63, 20_000).astype(np.uint64))
+        assert got.min() >= 1 and got.max() <= c
+        assert got.mean() == pytest.approx(want, abs=6 * math.sqrt(max(spread - want**2, 1e-9) / 20_000) + 1e-3)
+    assert list(pitman_yor.draw_tables(np.array([0, 1]), np.array([1.0, 1.0]), 0.5, np.array([1, 2], dtype=np.uint64))) == [0, 1]
+
+
+@pytest.mark.parametrize("frequent", [0, 20, 1 << 18])
+def test_language_model(spark, frequent):
+    rows = [(i, t) for i, t in enumerate(texts(21, 60, 80))] + [(90, None), (91, ""), (91, ""), (93, "Unseen words é")]
     docs = spark.createDataFrame([(i, t, i % 7 != 2) for i, t in rows], DOCS + ", train boolean")
-    model = pitman_yor.fit(docs)
-    split = lambda t: re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + [None]
+    model = pitman_yor.fit(docs, frequent=frequent)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + [""]
     c = Counter(w for i, t in rows if i % 7 != 2 for w in split(t))
     n, v = sum(c.values()), len(c)
     assert (model.tokens, model.kinds) == (n, v)
-    total = model.words.where("c > 0").agg(F.sum(F.pow(F.lit(10.0), "lp"))).first()[0]
-    assert total < 1 and sum(s.back * (1 - s.known) for s in model.sweeps) / len(model.sweeps) + total == pytest.approx(1, abs=1e-6)
-    scores = {}
-    for frequent in (0, 10, 1 << 18):
-        got = pitman_yor.score(docs, model, frequent).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            w = split(dict(rows)[r.doc_id])
-            assert (r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w))
-            assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-            assert r.score == pytest.approx(scores.setdefault(r.doc_id, r.score))
+    words, states = model.frequent, model.states
+    size = len(words.hashes) + 2
+    assert size - 2 <= frequent
+    raw = sorted(c)
+    data = " ".join(x for x in raw if x).encode()
+    hashes = dict(zip((x for x in raw if x), textops.words_of_bytes(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))[0], strict=True)) | {"": np.uint64(0)}
+    dish = lambda w: int(words.ids(np.array([hashes[w]], dtype=np.uint64))[0]) if w in hashes else size - 2
+    pairs, contexts = Counter(), Counter()
+    for i, t in rows:
+        for u, w in itertools.pairwise([size - 1] + [dish(w) for w in split(t)]):
+            if i % 7 != 2:
+                pairs[u, w] += 1
+                contexts[u] += 1
+    assert all(list(s.customers) == [contexts[u] for u in range(size)] for s in states)
+    code = lambda u, w: np.array([(u << pitman_yor.DISH_BITS) | w], dtype=np.uint64)
+    memo = {}
+
+    def p(u, w):
+        if (u, w) not in memo:
+            memo[u, w] = sum(float(s.predict(code(u, w), np.array([pairs[u, w]]))[0]) for s in states) / len(states)
+        return memo[u, w]
+
+    for u in [size - 1, size - 2, *range(min(size - 2, 5))]:  # each context's dishes come to one
+        assert sum(p(u, w) for w in range(size - 1)) == pytest.approx(1, abs=1e-6)
+    own = {r.h: r.own for r in model.words.collect()}
+    for s in states:  # so do the rare words, the unseen ones among them
+        assert sum(own.values()) + sum(x.rare_back(words.rare) * x.outside for x in states) / len(states) == pytest.approx(1, abs=1e-6)
+    spelt = lambda w: sum(s.rare_back(words.rare) * 10 ** s.spelling.log10(*pitman_yor.spell(pa.array([w.encode()], type=pa.binary())))[0] for s in states) / len(states)
+    got = pitman_yor.score(docs, model).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        w = split(dict(rows)[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w))
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+        want = sum(math.log10(p(u, x)) for u, x in itertools.pairwise([size - 1] + [dish(x) for x in w]))
+        want += sum(math.log10(own.get(int(np.array(hashes[x]).view(np.int64)), 0) + spelt(x) if x in hashes else spelt(x)) for x in w if dish(x) == size - 2)
+        assert r.score == pytest.approx(want)
+
+
+def test_language_model_reads_the_order_of_words(spark):
+    r = random.Random(3)
+    base = [" ".join(f"{x} {x}s" for x in r.choices(["red", "green", "blue", "white"], k=30)) for _ in range(40)]
+    shuffled = [" ".join(r.sample(t.split(" "), 60)) for t in base[:10]]
+    docs = spark.createDataFrame([(i, t, i >= 10 and i < 40) for i, t in enumerate(base + shuffled)], DOCS + ", train boolean")
+    got = {x.doc_id: x.score for x in pitman_yor.score(docs, pitman_yor.fit(docs)).collect()}
+    assert all(got[i] > got[40 + i] + 10 for i in range(10))
 
 
 def test_line_dedup(spark):
