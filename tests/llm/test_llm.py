@@ -317,7 +317,7 @@ def test_language_model(spark, frequent):
             if i % 7 != 2:
                 pairs[u, w] += 1
                 contexts[u] += 1
-    assert all(list(s.customers) == [contexts[u] for u in range(size)] for s in states)
+    assert all(list(s.seating.customers) == [contexts[u] for u in range(size)] for s in states)
     code = lambda u, w: np.array([(u << pitman_yor.DISH_BITS) | w], dtype=np.uint64)
     memo = {}
 
