@@ -19,7 +19,8 @@ from .textops import PIECE, U64, cuts, pieces, words_of_bytes
 
 #: Labelled rows used at most for each class; those with the smallest hash of their doc_id.
 SAMPLE = 1024
-TERMS = 1 << 12
+TERM_BITS = 13
+TERMS = 1 << TERM_BITS
 STYLE = 6
 RANK = 48
 NEIGHBOURS = 25
@@ -33,7 +34,7 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     d = data.astype(np.uint32)
     code = (d[:-2] << np.uint32(16)) | (d[1:-1] << np.uint32(8)) | d[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+    return ((code * np.uint32(2654435761)) >> np.uint32(32 - TERM_BITS)).astype(np.int64)
 
 
 def _share(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -109,11 +110,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows travel as the places and weights of their terms that aren't 0: a text has a few hundred of them."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            rows = _matrix(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in rows.astype(np.float16)], type=pa.binary())], names=["doc_id", "label", "terms"])
+            rows = _matrix(part.column(1)).astype(np.float16)
+            places = [np.flatnonzero(r).astype(np.uint16) for r in rows]
+            sparse = [pa.array([x.tobytes() for x in xs], type=pa.binary()) for xs in (places, [r[x] for r, x in zip(rows, places, strict=True)])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *sparse], names=["doc_id", "label", "places", "weights"])
 
 
 class Model:
@@ -174,11 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         chosen = part if chosen is None else chosen.union(part)
     ids = [(r.doc_id, r.label) for r in chosen.collect()]
     small = docs.sparkSession.createDataFrame(ids, "doc_id long, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, terms binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
-    terms = np.empty((len(rows), TERMS + STYLE), dtype=np.float32)
+    rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, places binary, weights binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    terms = np.zeros((len(rows), TERMS + STYLE), dtype=np.float32)
     for i, r in enumerate(rows):
-        terms[i] = np.frombuffer(r.terms, dtype=np.float16)
+        terms[i, np.frombuffer(r.places, dtype=np.uint16)] = np.frombuffer(r.weights, dtype=np.float16)
     return Model(terms, np.array([r.label for r in rows]))
 
 
