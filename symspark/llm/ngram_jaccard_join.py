@@ -11,9 +11,13 @@ k2 filled cells than may differ, for one of these then agrees and no subset of i
 so that few sets have not. Those few also have their first elements in hash order as signatures, so many
 that two of them that link share one (prefix filter).
 
-Exact copies are folded into classes first. Signatures only name candidates: the candidates of a
-connected group meet once more with their full sets, are compared exactly (all links, block by block,
-nothing emitted but a spanning label and link counts), and the links' components are the result.
+Exact copies are folded into classes first. Signatures only name candidates, and a common passage has
+thousands that don't link. So the sets of a signature are first held against each other by sketches: a
+bit for every hash value tells whether an odd number of elements fall on it, so that two sketches differ
+in no more bits than the sets in elements, and a pair whose sketches differ in more than a link allows is
+none. What remains is close to the links. The candidates of a connected group of it meet with their full
+sets, are compared exactly (all links, block by block, nothing emitted but a spanning label and link
+counts), and the links' components are the result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 from typing import NamedTuple
 
@@ -37,6 +42,14 @@ from .textops import U64, list_array, mix, pieces, shingle_hashes, word_hashes
 BLOCK = 512
 #: Elements that a signature should stand for on average, in the smallest sets of an instance.
 HELD = 3.0
+#: Bits of the shortest sketch; a longer one has a bit for each element at least.
+LEAST_BITS = 256
+#: Sketches of a block; the sets of a signature are compared block against block.
+SKETCHES = 4096
+#: Sets of a signature up to which all its pairs are looked at side by side with those of other signatures.
+FEW = 8
+#: Parts of the signatures that are dealt one after the other; the files of one are gone before the next.
+ROUNDS = 2
 
 
 class Bands(NamedTuple):
@@ -151,17 +164,29 @@ def _identity(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of sets laid end to end: their 64-bit words, and how many each set has (a power of two; none for an empty set)."""
+    bits = np.where(sizes > 0, np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)), 0)
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    at = (mix(value + U64(0xA0761D6478BD642F)) & (bits[who] - 1).astype(U64)).astype(np.int64)
+    odd = np.bincount((np.cumsum(bits) - bits)[who] + at, minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64), bits // 64
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in pieces(batch.column(1)):
                 value, sizes = _sets(data, bounds, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes, type=pa.int64()), pa.array(_identity(value, sizes).view(np.int64))], names=["doc_id", "n", "node"])
+                marks, words = sketches(value, sizes)
+                sketch = list_array(marks.view(np.int64), words, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes, type=pa.int64()), pa.array(_identity(value, sizes).view(np.int64)), sketch], names=["doc_id", "n", "node", "sketch"])
 
     return run
 
 
-def _signature_rows(size: int, similarity: Fraction, top: int = 1 << 40):
+def _signature_rows(size: int, similarity: Fraction, turn: int, top: int = 1 << 40):
+    """The signatures of one of the rounds."""
     bands = size_bands(similarity, top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +194,8 @@ def _signature_rows(size: int, similarity: Fraction, top: int = 1 << 40):
             for _, _, data, bounds in pieces(batch.column(0)):
                 value, sizes = _sets(data, bounds, size)
                 sig, each = signatures(value, sizes, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(_identity(value, sizes).view(np.int64), each))], names=["sig", "node"])
+                mine, node = sig % U64(ROUNDS) == turn, np.repeat(_identity(value, sizes).view(np.int64), each)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[mine].view(np.int64)), pa.array(node[mine])], names=["sig", "node"])
 
     return run
 
@@ -184,25 +210,93 @@ def _set_rows(size: int):
     return run
 
 
-def _pairs_to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature: each set with the first one of its signature. Holds one row between batches."""
-    last, first = None, 0
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, cut anew so that no value of it is in two tables. Holds the rows of one value between batches."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
+        if not batch.num_rows:
             continue
-        head = np.concatenate(([True], sig[1:] != sig[:-1]))
-        if last is not None and sig[0] == last:
-            head[0] = False
-        run = np.cumsum(head) - 1
-        firsts = node[head]
-        a = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else first, first)
-        last, first = sig[-1], a[-1]
-        keep = a != node
-        if keep.any():
-            pair = np.unique(np.stack([a[keep], node[keep]], axis=1), axis=0)
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and (cut or held[-1].column(0)[-1].as_py() != key[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by signature and set: the sets of each signature that several have, keyed by a hash of these sets, so that signatures of the same sets are one key."""
+    for table in _whole_keys(batches):
+        sig, node = table["sig"].to_numpy(), table["node"].to_numpy()
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+        sig, node = sig[new], node[new]
+        edge = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        many = np.diff(np.append(edge, len(sig)))
+        key = mix(np.add.reduceat(mix(node.view(U64) + U64(0x8EBC6AF09C88C6E3)), edge) + many.astype(U64))
+        once = np.zeros(len(edge), dtype=bool)
+        once[np.unique(key, return_index=True)[1]] = True
+        keep = np.repeat(once & (many > 1), many)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, many)[keep].view(np.int64)), pa.array(node[keep])], names=["key", "node"])
+
+
+def _alike(similarity: Fraction):
+    """From rows (key, node, n, sketch) sorted by key: edges (a, b) that connect all sets of a key whose sketches leave a link possible."""
+    up, down = similarity.numerator, similarity.denominator
+
+    def near(differ: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(differ).sum(axis=-1, dtype=np.int64) * (down + up) <= sizes * (down - up)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(batches):
+            key, node, size = (table[c].to_numpy() for c in ("key", "node", "n"))
+            column = table["sketch"].combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            flat, words = column.flatten().to_numpy().view(U64), np.diff(column.offsets.to_numpy()).astype(np.int64)
+            start = np.cumsum(words) - words
+
+            def folded(rows: np.ndarray, width: int, flat=flat, words=words, start=start) -> np.ndarray:
+                """The rows' sketches at the width of a shorter one: the parity of a bit of it is that of the bits that fall on it."""
+                out = np.empty((len(rows), width), dtype=U64)
+                for w in np.unique(words[rows]):
+                    of = np.flatnonzero(words[rows] == w)
+                    out[of] = np.bitwise_xor.reduce(flat[start[rows[of]][:, None] + np.arange(w)].reshape(len(of), -1, width), axis=1)
+                return out
+
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            many = np.diff(np.append(edge, len(key)))
+            left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            few = np.repeat(many <= FEW, many)
+            for step in range(1, FEW):
+                one = np.flatnonzero((key[step:] == key[:-step]) & few[step:])
+                width = np.minimum(words[one], words[one + step])
+                for w in np.unique(width):
+                    a = one[width == w]
+                    a = a[near(folded(a, w) ^ folded(a + step, w), size[a] + size[a + step])]
+                    left.append(a)
+                    right.append(a + step)
+            for at, m in zip(edge[many > FEW], many[many > FEW], strict=True):
+                rows = np.arange(at, at + m)
+                marks = folded(rows, int(words[rows].min()))
+                ids, rest = np.arange(m), marks
+                while len(ids):
+                    front, ids, rest = [ids[0]], ids[1:], rest[1:]
+                    while front and len(ids):
+                        x = front.pop()
+                        hit = near(rest ^ marks[x], size[rows[ids]] + size[at + x])
+                        if hit.any():
+                            right.append(rows[ids[hit]])
+                            left.append(np.full(len(right[-1]), at + x))
+                            front.extend(ids[hit])
+                            ids, rest = ids[~hit], rest[~hit]
+            pair = np.unique(np.stack([node[np.concatenate(left)], node[np.concatenate(right)]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
+    return run
+
 
 def _overlaps(items: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted sets."""
@@ -263,7 +357,14 @@ def _compare(similarity: Fraction):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float | str | Fraction = "0.8", block: int = BLOCK) -> DataFrame:
+def _dealt(rows: DataFrame, block: int, *columns: str) -> DataFrame:
+    """The columns with lo and hi: rows of groups of m members, in blocks of about `block`, once for each pair of blocks that theirs is in."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*columns, "lo", "hi")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float | str | Fraction = "0.8", block: int = BLOCK, sketched: int = SKETCHES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
     docs: doc_id (BIGINT) and text (STRING); other columns are ignored. Words are runs without ASCII
@@ -275,29 +376,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float | str | Fr
     and sets are compared by 64-bit hashes: two sets of one hash would count as copies.
     """
     similarity = Fraction(str(similarity)) if not isinstance(similarity, Fraction) else similarity
-    rows = save(docs.select("doc_id", "text").mapInArrow(_describe(size), "doc_id long, n long, node long"), "jaccard-sets")
+    rows = save(docs.select("doc_id", "text").mapInArrow(_describe(size), "doc_id long, n long, node long, sketch array<long>"), "jaccard-sets")
     some = rows.where("n > 0")
-    classes = save(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
+    classes = save(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    marks, every = classes.select("node", "n", "sketch"), classes
+    classes = every.select("node", "rep", "copies")
     # one text of each class goes on; signatures are many times the size of the ids, so they are made from the texts anew rather than kept
     others = save(some.select("doc_id").distinct().join(classes, F.col("doc_id") == F.col("rep"), "left_anti").select("doc_id"), "jaccard-copies")
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(small(others), "doc_id", "left_anti")
     often = save(some.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id").distinct(), "jaccard-repeats")
     if often.count():  # whole rows that repeat are read once
         texts = texts.join(small(often), "doc_id", "left_anti").union(texts.join(small(often), "doc_id", "left_semi").distinct())
-    spread = texts.select("text").mapInArrow(_signature_rows(size, similarity), "sig long, node long")
-    pairs = save(spread.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_pairs_to_first, "a long, b long").distinct(), "jaccard-pairs")
+    rounds = []
+    for turn in range(ROUNDS):
+        spread = texts.select("text").mapInArrow(_signature_rows(size, similarity, turn), "sig long, node long")
+        rounds.append(save(spread.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "key long, node long"), "jaccard-shared", free=True))
+    shared = save(reduce(DataFrame.union, rounds).distinct(), "jaccard-keys", free=True)
+    large = save(shared.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > sketched), "jaccard-large")
+    held = _dealt(shared.join(small(large), "key", "left").join(marks, "node").withColumn("m", F.coalesce("m", F.lit(1))), sketched, "key", "node", "n", "sketch", "blocks")
+    held = held.withColumn("key", F.when(F.col("blocks") > 1, F.xxhash64("key", "lo", "hi")).otherwise(F.col("key"))).select("key", "node", "n", "sketch")
+    pairs = save(held.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(similarity), "a long, b long").distinct(), "jaccard-pairs", free=True)
     groups = save(components(pairs), "jaccard-groups")
     counted = save(groups.groupBy("component").agg(F.count("*").alias("m")), "jaccard-sizes")
     member = groups.join(small(counted), "component").join(classes, "node").select("node", "rep", "component", "m", "copies")
     member = save(member, "jaccard-members")
     wanted = texts.join(small(save(member.select("rep").distinct(), "jaccard-wanted")), F.col("doc_id") == F.col("rep"), "left_semi")
     sets = wanted.select("text").mapInArrow(_set_rows(size), "node long, items array<long>").join(small(member), "node").dropDuplicates(["node"])
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("node", "items", "copies", "component", "block", other)
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-    found = save(dealt.groupBy("component", "lo", "hi").applyInArrow(_compare(similarity), "node long, root long, links long"), "jaccard-links")
+    dealt = _dealt(sets, block, "node", "items", "copies", "component", "block")
+    found = save(dealt.groupBy("component", "lo", "hi").applyInArrow(_compare(similarity), "node long, root long, links long"), "jaccard-links", free=True)
     joined = save(components(found, "node", "root"), "jaccard-joined")
     least = save(joined.join(classes, "node").groupBy("component").agg(F.min("rep").alias("least")), "jaccard-least")
     links = found.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
@@ -308,7 +414,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float | str | Fr
         .select("node", F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     of_class = save(of_class, "jaccard-result")
-    for done in (others, often, pairs, groups, counted, member, found, joined, least, classes):
+    for done in (others, often, *rounds, shared, large, pairs, groups, counted, member, found, joined, least, every):
         remove(done)
     filled = rows.where("n > 0").join(small(of_class), "node").select("doc_id", "n", "component", "n_links")
     blank = rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"))

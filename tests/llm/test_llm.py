@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from symspark.llm import chat_repair, components, decontaminate, knn_quality, line_dedup, mixing, ngram_jaccard_join, pii, pitman_yor, quality_cascade, textops, warc
+from symspark.llm import chat_repair, components, decontaminate, knn_quality, line_dedup, mixing, ngram_jaccard_join, pii, pitman_yor, quality_cascade, store, textops, warc
 from symspark.llm.store import new_folder
 
 DOCS = "doc_id long, text string"
@@ -104,6 +105,90 @@ def test_pipeline_near_copies_are_those_of_five_words_and_eight_tenths(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 12]
 
 
+def test_jaccard_sets_of_a_common_passage_are_not_compared_in_full(spark, monkeypatch):
+    r, rows = random.Random(41), []
+    common = texts(43, 1, 60, 3000)[0]
+    for i in range(150):  # half of each text in common, a third of two texts' shingles
+        rows.append((i, common + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(60))))
+    long = texts(42, 1, 120, 3000)[0].split(" ")
+    for i in range(40):  # near copies, in a chain of a few edits each
+        long[r.randrange(len(long))] = f"edit{i}"
+        rows.append((200 + i, " ".join(long)))
+    tables, save = {}, ngram_jaccard_join.save
+
+    def counted(df, name, *a, **k):
+        tables[name] = save(df, name, *a, **k)
+        if name == "jaccard-links":
+            counted.links = tables[name].count()
+        return tables[name]
+
+    monkeypatch.setattr(ngram_jaccard_join, "save", counted)
+    got = {x.doc_id: (x.component_id, x.n_links) for x in ngram_jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS), 5, "0.8", block=16, sketched=12).collect()}
+    assert counted.links <= 40 * 3  # those of the chain, once for each of its blocks; before, nearly all of the 150 others too, each once for each of ten blocks
+
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    root, links = {i: i for i in sets}, Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert got == {i: (find(i), links[i]) for i in sets} and len(links) == 40
+
+
+@pytest.mark.parametrize("similarity", ["0.8", "0.9"])
+@pytest.mark.parametrize("others", [0, 20])
+def test_jaccard_sketches_lose_no_link(similarity, others):
+    r, share = np.random.default_rng(6), Fraction(similarity)
+    for n in (3, 40, 255, 257, 1020, 1030, 9000):
+        for extra in (0, n // 4):
+            most = int((1 - share) * n)
+            whole = r.integers(0, 1 << 64, size=n, dtype=np.uint64)
+            sets = [np.sort(x) for x in (whole, whole[most:] if most else whole.copy(), *(r.integers(0, 1 << 64, size=n + extra, dtype=np.uint64) for _ in range(others)))]
+            words, each = ngram_jaccard_join.sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
+            marks = textops.list_array(words.view(np.int64), each, pa.int64())
+            rows = pa.RecordBatch.from_arrays([pa.array([7] * len(sets)), pa.array(range(len(sets))), pa.array([len(x) for x in sets]), marks], names=["key", "node", "n", "sketch"])
+            cut = [rows.slice(0, 1), rows.slice(1)]
+            found = [tuple(x) for b in ngram_jaccard_join._alike(share)(iter(cut)) for x in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+            assert (0, 1) in found and (n < 40 or len(found) == 1), (n, extra, found)
+
+
+def test_jaccard_shared_signatures_over_batches():
+    sig, node = [-5, -5, -5, 1, 2, 2, 2, 9, 9], [3, 4, 4, 8, 3, 3, 4, 5, 6]
+    for k in range(1, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array(sig[i : i + k]), pa.array(node[i : i + k])], names=["sig", "node"]) for i in range(0, 9, k)]
+        keys = {}
+        for b in ngram_jaccard_join._shared(iter(batches)):
+            for x, y in zip(b["key"].to_pylist(), b["node"].to_pylist(), strict=True):
+                keys.setdefault(x, set()).add(y)
+        assert sorted(map(sorted, keys.values())) == [[3, 4], [5, 6]]
+
+
+def test_shuffle_files_of_a_freed_save_go(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before, rows = files(), spark.range(10_000).repartition(3, "id")
+    kept, until = store.save(rows, "freed", free=True), time.monotonic() + 20
+    while (left := {x for x in files() - before if x.startswith("shuffle_")}) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left and kept.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+
+
 def test_jaccard_empty(spark):
     assert ngram_jaccard_join.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
